@@ -15,35 +15,41 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep
+from tessera.llm.common import LOWER, keep
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
-#: Words whose ids a worker remembers; beyond that it forgets all and starts anew.
-CACHED_WORDS = 400_000
+#: Words whose ids a Python worker remembers from task to task; beyond that it forgets all and starts anew.
+CACHED_WORDS = 1_000_000
+_CACHES: dict[str, dict[bytes, bytes]] = {}
+#: Between an ASCII letter or digit and a comma or full stop at a word's end the tokenizer cuts in any case.
+STOP = re.compile(rb"(?<=[a-z0-9])(?=[,.][ \n])")
 
 
 class WordTokenizer:
     """Ids of whole texts, word by word: the tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its white-space separated words in order, and each distinct word is tokenized once per worker."""
+    text are those of its white-space separated words in order, and each distinct word is tokenized once per worker.
+    The tokenizer lower-cases, so words that differ in the case of A-Z are one."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache = Tokenizer.from_file(path), _CACHES.setdefault(path, {})
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [(t or "").encode().split() for t in texts]
+        cut = [STOP.sub(b" ", (t or "").encode().translate(LOWER)).split() for t in texts]
         cache = self.cache
         if len(cache) > CACHED_WORDS:
             cache.clear()
@@ -51,7 +57,7 @@ class WordTokenizer:
         for k in range(0, len(missing), 20_000):
             part = missing[k : k + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                cache[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
+                cache[word] = np.array(found.ids, "<u4").tobytes()
         for text in cut:
             yield b"".join(map(cache.__getitem__, text))
 
