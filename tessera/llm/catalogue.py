@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import contain, html, packing, quality, simhash, topk, toxicity, warc
+from tessera.llm import contain, html, lm, packing, quality, simhash, topk, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op7_kdtree_topk(spark: SparkSession, directory: str) -> DataFrame:
     return topk.top_k(table(spark, directory, "embeddings"))
 
 
+def op8_eliasfano_lm(spark: SparkSession, directory: str) -> DataFrame:
+    return lm.score(table(spark, directory, "documents"))
+
+
 def op9_benchmark_containment(spark: SparkSession, directory: str) -> DataFrame:
     return contain.contaminated(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
@@ -82,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_pivots, op2_best_fit_packing, op3_quality_fourier, op4_toxicity_compression, op5_warc_roundtrip, op6_html_mincut, op7_kdtree_topk,
-        op9_benchmark_containment,
+        op8_eliasfano_lm, op9_benchmark_containment,
     )
 }
 

@@ -96,7 +96,7 @@ def train(texts: list[str | None], toxic: list[int], content: int = 12_288, extr
             docs.append(distinct)
         elif len(ordinary) < 60_000:
             ordinary += [b" " + b" ".join(words[i : i + 8]) + b" " for i in range(0, len(words), 8)]
-    least = max(4, 0.006 * totals[1])
+    least = max(6, 0.008 * totals[1])
     telling = {g for g, n in counts[1].items() if n >= least and n * (totals[0] + 1) > 8 * totals[1] * (counts[0][g] + 0.5)}
     fragments: Counter = Counter()
     for distinct in docs:
