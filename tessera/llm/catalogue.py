@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import contain, html, lm, packing, quality, simhash, topk, toxicity, warc
+from tessera.llm import contain, html, lm, packing, passages, quality, simhash, topk, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -54,6 +54,16 @@ def op9_benchmark_containment(spark: SparkSession, directory: str) -> DataFrame:
     return contain.contaminated(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+def op10_passage_chains(spark: SparkSession, directory: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, directory, "documents"))
+
+
+def pipeline(spark: SparkSession, directory: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, directory)
+
+
 ORACLES = {
     "op5_warc_roundtrip": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
@@ -86,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_pivots, op2_best_fit_packing, op3_quality_fourier, op4_toxicity_compression, op5_warc_roundtrip, op6_html_mincut, op7_kdtree_topk,
-        op8_eliasfano_lm, op9_benchmark_containment,
+        op8_eliasfano_lm, op9_benchmark_containment, op10_passage_chains, pipeline,
     )
 }
 
