@@ -312,14 +312,18 @@ class Shard:
         self.pointers, self.followers, self.codes = EliasFano.decode(arrays, "pointers"), EliasFano.decode(arrays, "followers"), arrays["codes"]
 
     def look_up(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 P(w|h) of pairs that the shard holds, NaN for others."""
+        """log10 P(w|h) of pairs that the shard holds, NaN for others. Equal contexts stand together."""
         out = np.full(len(h), np.nan)
-        first, end = self.pointers.at(h), self.pointers.at(h + 1)
-        some = np.flatnonzero(first < end)
-        first, end = first[some], end[some]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        context = h[new]
+        first, end = self.pointers.at(context), self.pointers.at(context + 1)
         # the range before ends at its last follower: the base of this context is one more than that
-        base = np.where(first > 0, self.followers.at(np.maximum(first - 1, 0)) + 1, 0)
-        target = w[some] + base
+        base = np.zeros(len(context), np.int64)
+        inner = np.flatnonzero((first < end) & (first > 0))
+        base[inner] = self.followers.at(first[inner] - 1) + 1
+        of = np.cumsum(new) - 1
+        some = np.flatnonzero((first < end)[of])
+        first, end, target = first[of[some]], end[of[some]], w[some] + base[of[some]]
         at = self.followers.successor(first, end, target)
         inside = np.flatnonzero(at < end)
         hit = inside[self.followers.at(at[inside]) == target[inside]]
@@ -327,7 +331,7 @@ class Shard:
         return out
 
 
-def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, shard_tokens: int = 16_000_000) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, shard_tokens: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), modulus) == remainder, F.lit(False))
