@@ -54,3 +54,14 @@ def crc_remainder(doc_id: Column, modulus: int) -> Column:
 def plain_words(text: str | None) -> list[bytes]:
     """The same words as bytes, in Python: bytes.split() cuts at exactly these six characters."""
     return (text or "").encode().translate(LOWER).split()
+
+
+_CACHE: list = [None, {}]
+
+
+def worker_cache(key, most: int) -> dict:
+    """What a Python worker remembers from task to task for one purpose, such as results by word; another purpose, or
+    growth beyond ``most`` entries, empties it, so that a worker holds one bounded cache at a time."""
+    if _CACHE[0] != key or len(_CACHE[1]) > most:
+        _CACHE[:] = [key, {}]
+    return _CACHE[1]

@@ -17,21 +17,20 @@ import math
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, keep
+from tessera.llm.common import LOWER, keep, worker_cache
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 #: Words whose ids a Python worker remembers from task to task; beyond that it forgets all and starts anew.
 CACHED_WORDS = 1_000_000
-_CACHES: dict[str, dict[bytes, bytes]] = {}
 #: Between an ASCII letter or digit and a comma or full stop at a word's end the tokenizer cuts in any case.
 STOP = re.compile(rb"(?<=[a-z0-9])(?=[,.][ \n])")
 
@@ -45,19 +44,17 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), _CACHES.setdefault(path, {})
+        self.tokenizer, self.key = Tokenizer.from_file(path), ("tokens", path)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [STOP.sub(b" ", (t or "").encode().translate(LOWER)).split() for t in texts]
-        cache = self.cache
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        missing = list({w for text in cut for w in text if w not in cache})
+        cache = worker_cache(self.key, CACHED_WORDS)
+        missing = list(set().union(*cut).difference(cache))
         for k in range(0, len(missing), 20_000):
             part = missing[k : k + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                cache[word] = np.array(found.ids, "<u4").tobytes()
+                cache[word] = array("I", found.ids).tobytes()
         for text in cut:
             yield b"".join(map(cache.__getitem__, text))
 

@@ -26,13 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import calibration
-from tessera.llm.common import crc_remainder, plain_words
+from tessera.llm.common import crc_remainder, plain_words, worker_cache
 
 LEVEL = 19
 GRAM = 6
 CARRIER = 20
-CACHED_WORDS = 600_000
-_CACHES: dict[int, dict[bytes, float]] = {}
+CACHED_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -50,7 +49,7 @@ class Distances:
     def __init__(self, dictionaries: Dictionaries):
         self.carrier = dictionaries.carrier()
         self.coders = [self._coder(d) for d in (dictionaries.ordinary, dictionaries.toxic)]
-        self.cache = _CACHES.setdefault(zlib.crc32(dictionaries.toxic), {})
+        self.key = ("toxicity", zlib.crc32(dictionaries.toxic))
 
     @staticmethod
     def _coder(content: bytes) -> zstandard.ZstdCompressor:
@@ -60,16 +59,14 @@ class Distances:
 
     def of(self, texts: list[str | None]) -> list[float]:
         cut = [set(plain_words(t)) for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        missing = list({w for words in cut for w in words if w not in self.cache})
+        cache = worker_cache(self.key, CACHED_WORDS)
+        missing = list(set().union(*cut).difference(cache))
         for k in range(0, len(missing), 50_000):
             part = missing[k : k + 50_000]
             windows = [self.carrier + b" " + w + b" " for w in part] + [self.carrier]  # the batch call wants two or more
             plain, toxic = (c.multi_compress_to_buffer(windows, threads=1) for c in self.coders)
             for w, a, b in zip(part, plain, toxic):
-                self.cache[w] = (len(a) - len(b)) / (len(w) + 2)
-        cache = self.cache
+                cache[w] = (len(a) - len(b)) / (len(w) + 2)
         return [max(map(cache.__getitem__, words), default=0.0) for words in cut]
 
 
