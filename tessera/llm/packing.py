@@ -30,7 +30,7 @@ from tessera.llm.common import LOWER, keep, worker_cache
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 #: Words whose ids a Python worker remembers from task to task; beyond that it forgets all and starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
 #: Between an ASCII letter or digit and a comma or full stop at a word's end the tokenizer cuts in any case.
 STOP = re.compile(rb"(?<=[a-z0-9])(?=[,.][ \n])")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, plain_words
+from tessera.llm.common import keep, plain_words, worker_cache
 from tessera.llm.contain import bounded
 
 SEEDS = "hash bigint, doc bigint, pos int"
@@ -59,6 +59,7 @@ def minimizers(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.n
 
 def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(None, 0)  # what an earlier stage of a pipeline has left
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)

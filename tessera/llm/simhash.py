@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, plain_words
+from tessera.llm.common import keep, plain_words, worker_cache
 from tessera.llm.components import components
 
 SEED = 42
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint, as a signed 64-bit integer, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(None, 0)  # what an earlier stage of a pipeline has left
         for batch in batches:
             found = np.fromiter((fingerprint(plain_words(t.as_py())) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])

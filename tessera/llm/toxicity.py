@@ -31,7 +31,7 @@ from tessera.llm.common import crc_remainder, plain_words, worker_cache
 LEVEL = 19
 GRAM = 6
 CARRIER = 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 
 
 @dataclass(frozen=True)
