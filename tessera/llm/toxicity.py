@@ -77,12 +77,13 @@ def _grams(words: set[bytes]) -> set[bytes]:
 def train(texts: list[str | None], toxic: list[int], content: int = 12_288, extra: int = 8192) -> Dictionaries:
     """The two dictionaries. Fragments are the spans of a toxic document's words that are covered by byte sequences
     which far more toxic than ordinary documents hold."""
-    seen: set[bytes] = set()
+    seen: set[int] = set()
     counts, totals, docs = (Counter(), Counter()), [0, 0], []
     ordinary: list[bytes] = []
     for text, label in zip(texts, toxic):
         words = plain_words(text)
-        key = max(words, key=lambda w: (len(w), w), default=b"")  # near copies share their longest word
+        # near copies mostly share their smallest shingle hash
+        key = min(zlib.crc32(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4)))
         if key in seen:
             continue
         seen.add(key)
