@@ -185,8 +185,9 @@ def align(a: np.ndarray, b: np.ndarray, p: list[int], q: list[int], k: int) -> t
     for x, y in zip(p, q):
         if x < i or y < j:  # inside the run so far
             continue
-        if x > i or y > j:  # a gap: what equals the words before the next match counts, the rest is edits
-            matched += _run_length(a[i:x][::-1], b[j:y][::-1])
+        if x > i or y > j:  # a gap: aligned from its start, and from its end as far as words are equal
+            u, v, found = _extend(a[i:x], b[j:y])
+            matched += found + _run_length(a[i + u : x][::-1], b[j + v : y][::-1])
             i, j = x, y
         n = _run_length(a[i:], b[j:])
         i, j, matched = i + n, j + n, matched + n
