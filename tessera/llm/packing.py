@@ -31,8 +31,23 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PACKED = f"{PIECES}, sequence_id bigint, offset bigint"
 #: Words whose ids a Python worker remembers from task to task; beyond that it forgets all and starts anew.
 CACHED_WORDS = 800_000
-#: Between an ASCII letter or digit and a comma or full stop at a word's end the tokenizer cuts in any case.
-STOP = re.compile(rb"(?<=[a-z0-9])(?=[,.][ \n])")
+#: Marks that the tokenizer cuts from a letter or digit before them, as one run, wherever they stand.
+MARKS = b"!#$%&*,.:;?|"
+#: Words of ASCII and lower-case Latin-1 letters alone: normalizing leaves them as they are and nothing cuts them, so
+#: they go to the tokenizer's merge model directly, in the alphabet that stands for bytes there.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def _stem(word: bytes) -> bytes:
+    """The word without marks at its end, if that ends in an ASCII or Latin-1 letter or digit; else the word."""
+    stem = word.rstrip(MARKS)
+    if stem and stem != word:
+        last = stem[-1]
+        if 48 <= last <= 57 or 97 <= last <= 122 or last >= 128 and stem[-2:-1] == b"\xc3" and last not in (0x97, 0xB7):
+            return stem
+    return word
 
 
 class WordTokenizer:
@@ -45,16 +60,26 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.key = Tokenizer.from_file(path), ("tokens", path)
+        self.model = self.tokenizer.model
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [STOP.sub(b" ", (t or "").encode().translate(LOWER)).split() for t in texts]
+        cut = [(t or "").encode().translate(LOWER).split() for t in texts]
         cache = worker_cache(self.key, CACHED_WORDS)
-        missing = list(set().union(*cut).difference(cache))
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
+        missing = set().union(*cut).difference(cache)
+        marked = [(w, stem, w[len(stem) :]) for w in missing if (stem := _stem(w)) is not w]
+        whole = []
+        for word in missing.difference(m[0] for m in marked).union(x for m in marked for x in m[1:]).difference(cache):
+            if LETTERS(word):
+                cache[word] = array("I", [x.id for x in self.model.tokenize(word.decode("latin-1").translate(ALPHABET))]).tobytes()
+            else:
+                whole.append(word)
+        for k in range(0, len(whole), 20_000):
+            part = whole[k : k + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 cache[word] = array("I", found.ids).tobytes()
+        for word, stem, marks in marked:
+            cache[word] = cache[stem] + cache[marks]
         for text in cut:
             yield b"".join(map(cache.__getitem__, text))
 
