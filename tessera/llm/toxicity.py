@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries: one trained on ordinary text; the other holds the same and, after it, fragments that toxic
-text has and ordinary text has not. A window is one word between spaces, compressed after a short carrier that both
-dictionaries hold (without it, so short a window would be stored as it is). A window's distance is the share of its
+text has and ordinary text has not. A window is one word between spaces, compressed after a short carrier with which
+both dictionaries end (without it, so short a window would be stored as it is) and before a few of the carrier's bytes. A window's distance is the share of its
 bytes that the toxic dictionary saves over the ordinary one; a document's is its largest, and an isotonic fit on
 training rows that no dictionary has seen turns it into a score. Near copies are one training document.
 
@@ -28,9 +28,13 @@ from pyspark.sql import functions as F
 from tessera.llm import calibration
 from tessera.llm.common import crc_remainder, plain_words, worker_cache
 
-LEVEL = 19
+#: A lazy parse takes every match; the optimal parse of higher levels prices literals as if they were entropy-coded,
+#: which so short a window never is, and passes short matches over.
+LEVEL = 9
 GRAM = 6
 CARRIER = 20
+#: Bytes after a window's word: zstandard looks for no match that starts in the last 8 or 16 bytes of its input.
+TAIL = 18
 CACHED_WORDS = 250_000
 
 
@@ -63,7 +67,8 @@ class Distances:
         missing = list(set().union(*cut).difference(cache))
         for k in range(0, len(missing), 50_000):
             part = missing[k : k + 50_000]
-            windows = [self.carrier + b" " + w + b" " for w in part] + [self.carrier]  # the batch call wants two or more
+            tail = self.carrier[:TAIL]
+            windows = [self.carrier + b" " + w + b" " + tail for w in part] + [self.carrier]  # the batch call wants two or more
             plain, toxic = (c.multi_compress_to_buffer(windows, threads=1) for c in self.coders)
             for w, a, b in zip(part, plain, toxic):
                 cache[w] = (len(a) - len(b)) / (len(w) + 2)
@@ -76,8 +81,10 @@ def _grams(words: set[bytes]) -> set[bytes]:
 
 def train(texts: list[str | None], toxic: list[int], content: int = 12_288, extra: int = 8192) -> Dictionaries:
     """The two dictionaries. Fragments are the spans of a toxic document's words that are covered by byte sequences
-    which far more toxic than ordinary documents hold."""
+    which far more toxic than ordinary documents hold. A toxic document counts for a sequence only by words that stand
+    between neighbours not seen before, so that copies and shared passages count once."""
     seen: set[int] = set()
+    contexts: set[int] = set()
     counts, totals, docs = (Counter(), Counter()), [0, 0], []
     ordinary: list[bytes] = []
     for text, label in zip(texts, toxic):
@@ -88,6 +95,10 @@ def train(texts: list[str | None], toxic: list[int], content: int = 12_288, extr
             continue
         seen.add(key)
         distinct = set(words)
+        if label:
+            around = [zlib.crc32(b" ".join(c)) for c in zip([b"", *words], words, [*words[1:], b""])]
+            distinct = {w for w, c in zip(words, around) if c not in contexts}
+            contexts.update(around)
         counts[label].update(_grams(distinct))
         totals[label] += 1
         if label:
@@ -107,7 +118,7 @@ def train(texts: list[str | None], toxic: list[int], content: int = 12_288, extr
         base = zstandard.train_dictionary(content, ordinary, k=32, d=6).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
         base = b"".join(ordinary)[-content:] or b" " * CARRIER
-    return Dictionaries(base, base + b"".join(f for f, _ in sorted(fragments.items(), key=lambda x: (x[1], x[0])))[-extra:])
+    return Dictionaries(base, base + b"".join(f for f, _ in sorted(fragments.items(), key=lambda x: (x[1], x[0])))[-extra:] + b"\0" * 8 + base[-CARRIER:])
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, per_class: int = 4000) -> tuple[Dictionaries, tuple[list[float], list[float]]]:
