@@ -1,14 +1,21 @@
 """Repeated passages across documents by collinear chaining of shared k-mer seeds.
 
-Seeds: k-word shingle hashes, thinned to the minimizers of every run of ``window`` shingles, so that any run of
-k + window - 1 equal words shares a seed. Each seed hash that several documents hold has one canonical occurrence, the
-first by (doc_id, position); every other document's occurrence is matched with that one only. A passage that thousands
-of documents share thus costs each of them one set of matches, and no group is expanded into pairs.
+Seeds: all k-word shingles that two documents hold. With ``e`` edits, n words with a share s of equal words have at least
+s n - (k - 1) (e + 1) of them: 7 for 50 words, 0.8 and k = 4, however the edits lie. A first pass over the texts deals
+40 bits of each distinct shingle hash to shards and stores those that come twice; the second keeps only such seeds.
+
+Matching: each seed hash has one canonical occurrence, the first by (doc_id, position); every other document's occurrence
+is matched with that one. Where the canonical occurrences of two seeds of a document, some words apart, do not follow
+each other as its own do, the two together are a seed of a second round, which has first occurrences of its own: so a
+passage is found whose parts come first in different documents. Such a pair starts and ends with 2 k words whose seeds
+are all shared, so for parts that come first elsewhere, edits must leave equal runs of that length. A passage that thousands of documents share thus costs
+each of them one set of matches, and no group is expanded into pairs.
 
 Chaining: the matches of a document with one earlier document are chained in order, with gap costs, by a Fenwick tree
 over prefix maxima. Alignment: chains are cut at long gaps and aligned on word hashes, exactly along diagonals, with
-small edits in between and at the ends, which gives the passage's full extent; passages that are long and similar enough
-are returned. Of a document's words only those of spans that chains name are moved.
+small edits at the ends and a longest common subsequence in between; where that is too short or too little alike, the
+ends are those common subsequences that make the longest passage. Passages that are long and similar enough are
+returned. Of a document's words only those of spans that chains name are moved.
 
 Defined results: null and blank texts, texts shorter than a seed and repeats within one document give nothing; rows that
 share an id are one document each in seeding but cannot match each other; rows without an id take no part; an empty
@@ -17,6 +24,7 @@ table gives none; the first document of a passage has no row for it.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -26,14 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, plain_words, worker_cache
+from tessera.llm.common import keep, plain_words, shared_folder, worker_cache
 from tessera.llm.contain import bounded
+from tessera.llm.eliasfano import map_arrays, write_arrays
 
 SEEDS = "hash bigint, doc bigint, pos int"
-CHAINS = "doc bigint, first bigint, p array<int>, q array<int>"
+CHAINS = "doc bigint, first bigint, p array<int>, q array<int>, keys array<bigint>"
 PASSAGES = "doc_id bigint, start int, end int, source_id bigint, source_start int, source_end int, matched int"
 #: Words that are fetched beyond a chain at either side, to find where the passage ends.
 MARGIN = 48
+SHARDS = 256
+#: Words between the two seeds of a pair; the last pair spans 50 words.
+APART = (12, 24, 46)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -41,33 +53,90 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def minimizers(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the seeds of a text."""
-    n = len(words) - k + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all seeds of a text, by position."""
+    n = max(0, len(words) - k + 1)
     h = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in range(k if n else 0):
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : n + j]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    at = np.lib.stride_tricks.sliding_window_view(h, min(window, n)).argmin(axis=1) + np.arange(max(1, n - window + 1))
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return h[at], at
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], k: int, most: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Ids and seed hashes of texts, about ``most`` seeds at a time."""
+    worker_cache(None, 0)  # what an earlier stage of a pipeline has left
+    ids, found, held = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids.append(doc)
+            found.append(shingles(word_hashes(text.as_py()), k))
+            held += len(found[-1])
+            if held >= most:
+                yield np.array(ids, np.int64), found
+                ids, found, held = [], [], 0
+    if ids:
+        yield np.array(ids, np.int64), found
+
+
+def store_shared(docs: DataFrame, k: int, folder: str) -> None:
+    """Store, by shard, 32 further bits of the seed hashes that two texts hold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _hashed(batches, k, 4_000_000):
+            keys, n = np.unique(np.concatenate([np.unique(h) for h in found]) >> np.uint64(24), return_counts=True)
+            cuts = np.searchsorted(keys, np.arange(SHARDS + 1, dtype=np.uint64) << np.uint64(32))
+            low = keys.astype(np.uint32)
+            parts = [(low[i:j], n[i:j] > 1) for i, j in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_pydict({"shard": list(range(SHARDS)), "once": [x[~m].tobytes() for x, m in parts], "more": [x[m].tobytes() for x, m in parts]})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, once, more = None, [], []
+
+        def done():
+            x = np.sort(np.concatenate(once + [y for y in more for _ in range(2)]))
+            size = write_arrays(f"{folder}/seeds-{now}", {"low": np.unique(x[1:][x[1:] == x[:-1]])})
+            return pa.RecordBatch.from_pydict({"shard": [now], "bytes": [size]})
+
+        for batch in batches:
+            for s, a, b in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if now is not None and s != now:
+                    yield done()
+                    once, more = [], []
+                now = s
+                once.append(np.frombuffer(a, np.uint32))
+                more.append(np.frombuffer(b, np.uint32))
+        if now is not None:
+            yield done()
+
+    counted = docs.mapInArrow(count, "shard bigint, once binary, more binary").repartition(64, "shard").sortWithinPartitions("shard")
+    counted.mapInArrow(merge, "shard bigint, bytes bigint").agg(F.sum("bytes")).first()
 
 
-def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
+def seeds(docs: DataFrame, k: int) -> DataFrame:
+    """The seeds of texts that another text has, too (or, rarely, a hash with the same 40 bits)."""
+    folder = shared_folder(docs.sparkSession, "seed-hashes")
+    store_shared(docs, k, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_cache(None, 0)  # what an earlier stage of a pipeline has left
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                found = [minimizers(word_hashes(t.as_py()), k, window) for t in part.column(1)]
-                sizes = [len(h) for h, _ in found]
-                hashes, places = (np.concatenate(x) for x in zip(*found))
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids), pa.array(places.astype(np.int32))], names=["hash", "doc", "pos"])
+        files = None
+        for ids, found in _hashed(batches, k, 1_000_000):
+            files = files or [map_arrays(f"{folder}/seeds-{s}")["low"] for s in range(SHARDS)]
+            hashes, sizes = np.concatenate(found), np.array([len(h) for h in found])
+            places = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.argsort(hashes)
+            keys = hashes[order] >> np.uint64(24)
+            cuts = np.searchsorted(keys, np.arange(SHARDS + 1, dtype=np.uint64) << np.uint64(32))
+            low, known = keys.astype(np.uint32), np.zeros(len(keys), bool)
+            for f, i, j in zip(files, cuts, cuts[1:]):
+                if i < j and len(f):
+                    known[i:j] = f[np.minimum(np.searchsorted(f, low[i:j]), len(f) - 1)] == low[i:j]
+            at = np.sort(order[known])
+            docs_of = np.repeat(ids, sizes)
+            for c in range(0, len(at), 200_000):
+                x = at[c : c + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[x].view(np.int64)), pa.array(docs_of[x]), pa.array(places[x].astype(np.int32))], names=["hash", "doc", "pos"])
 
     return docs.mapInArrow(run, SEEDS)
 
@@ -106,43 +175,93 @@ def chain(p: list[int], q: list[int], k: int = 5, gap_cost: float = 0.05) -> lis
     return chains
 
 
-def chains(matches: DataFrame, k: int, longest_gap: int = 40, least: int = 15) -> DataFrame:
-    """doc, first (the earlier document) and the chained positions p and q in both, cut at gaps over ``longest_gap`` words.
-    A document's matches are as many as its seeds, and all meet in one task."""
-
-    def one(doc: int, first: int, p: list[int], q: list[int], out: list) -> None:
+def pair_keys(first: np.ndarray, p: np.ndarray, q: np.ndarray, k: int, covered: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and positions of the pairs of a document's seeds whose canonical occurrences do not follow each other as they
+    do: of pairs that start and end with 2 k words all of whose seeds are shared, and lie in no span of ``covered``.
+    The last two bits of a key tell how far the seeds are apart. Positions are sorted."""
+    keys, places = [], []
+    one = np.unique(p)
+    solid = one[:-k][one[k:] == one[:-k] + k]
+    starts, ends = np.array(sorted(covered), np.int64).reshape(-1, 2).T
+    span = np.searchsorted(starts, p, side="right")
+    reach = np.concatenate([[-1], np.maximum.accumulate(ends)])[span]
+    begins = np.isin(p, solid)
+    for level, apart in enumerate(APART):
+        at = np.minimum(np.searchsorted(p, p + apart), len(p) - 1)
+        here = np.flatnonzero(begins & (p[at] == p + apart) & ((first[at] != first) | (q[at] - q != apart)) & (reach < p + apart + k))
+        here = here[np.isin(p[here] + apart - k, solid)]
+        h = np.zeros(len(here), np.uint64)
+        for part in (first[here], q[here], first[at[here]], q[at[here]]):
+            h = (h ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        keys.append((h & ~np.uint64(3)) | np.uint64(level))
+        places.append(p[here])
+    return np.concatenate(keys).view(np.int64), np.concatenate(places)
+
+
+def chains(matches: DataFrame, k: int, least: int, least_words: int, similarity: float, pairs: bool, longest_gap: int = 40) -> DataFrame:
+    """doc, first (the earlier document) and the chained positions p and q in both, cut at gaps over ``longest_gap`` words,
+    of chains of at least ``least`` matches. ``pairs``: and rows with keys, at positions p, for the second round.
+    A document's matches are as many as its shared seeds, and all meet in one task."""
+
+    def one(doc: int, first: np.ndarray, p: np.ndarray, q: np.ndarray, out: list) -> None:
+        every, begin = (first, p, q), len(out)
+        other = first != doc
+        first, p, q = first[other], p[other], q[other]
+        order = np.lexsort((p, q - p, first))  # along diagonals
+        first, p, q = first[order], p[order], q[order]
+        cuts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1], [True]])) if len(first) else []
+        for i, j in zip(cuts, cuts[1:]):
+            if j - i >= least:
+                _chain_one(doc, int(first[i]), p[i:j], q[i:j], out)
+        if pairs:
+            # a chain whose seeds alone are long and similar enough is a passage; nothing need be found inside
+            covered = [(x[0], x[-1] + k) for _, _, x, y, _ in out[begin:] if x[-1] + k - x[0] >= least_words and y[-1] + k - y[0] >= least_words and k + sum(min(k, b - a) for a, b in zip(x, x[1:])) >= similarity * (max(x[-1] - x[0], y[-1] - y[0]) + k)]
+            keys, places = pair_keys(*every, k, covered)
+            if len(keys):
+                out.append((doc, None, places.tolist(), None, keys.tolist()))
+
+    def _chain_one(doc: int, first: int, p: np.ndarray, q: np.ndarray, out: list) -> None:
+        # of a run of matches word by word, every k-th one and the last are chained, for as many as they stand for
+        new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)])
+        begins = np.flatnonzero(new)
+        offset = np.arange(len(p)) - begins[np.cumsum(new) - 1]
+        taken = np.flatnonzero((offset % k == 0) | np.append(new[1:], True))
+        sizes = np.diff(np.append(taken, len(p)))
+        p, q, sizes = p[taken].tolist(), q[taken].tolist(), sizes.tolist()
         for path in chain(p, q, k):
             cut = 0
             for j in range(1, len(path) + 1):
                 if j == len(path) or max(p[path[j]] - p[path[j - 1]], q[path[j]] - q[path[j - 1]]) > longest_gap:
                     part = path[cut:j]
-                    if p[part[-1]] + k - p[part[0]] >= least:
-                        out.append((doc, first, [p[i] for i in part], [q[i] for i in part]))
+                    if sum(sizes[i] for i in part) >= least:
+                        out.append((doc, first, [p[i] for i in part], [q[i] for i in part], None))
                     cut = j
 
     def emit(out: list) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc", "first", "p", "q"])
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc", "first", "p", "q", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, p, q, out = None, [], [], []
+        now, held, out = None, [], []
         for batch in batches:
-            for doc, first, a, b in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if (doc, first) != now:
-                    if now:
-                        one(*now, p, q, out)
-                    now, p, q = (doc, first), [], []
-                    if len(out) > 2000:
+            doc, *rest = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4))
+            cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else []
+            for i, j in zip(cuts, cuts[1:]):
+                if doc[i] != now:
+                    if held:
+                        one(now, *map(np.concatenate, zip(*held)), out)
+                    now, held = int(doc[i]), []
+                    if len(out) > 500:
                         yield emit(out)
                         out = []
-                p.append(a)
-                q.append(b)
-        if now:
-            one(*now, p, q, out)
+                held.append([x[i:j] for x in rest])
+        if held:
+            one(now, *map(np.concatenate, zip(*held)), out)
         if out:
             yield emit(out)
 
-    ordered = matches.select("doc", "first", "p", "q").repartition("doc").sortWithinPartitions("doc", "first", "p", "q")
+    ordered = matches.select("doc", "first", "p", "q").repartition("doc").sortWithinPartitions("doc", "p", "first", "q")
     return ordered.mapInArrow(run, CHAINS)
 
 
@@ -178,20 +297,67 @@ def _extend(a: np.ndarray, b: np.ndarray, most_edits: int = 6, step: int = 4, su
         i, j = i + x, j + y
 
 
-def align(a: np.ndarray, b: np.ndarray, p: list[int], q: list[int], k: int) -> tuple[int, int, int, int, int]:
-    """Extent in both word sequences and equal words of the alignment along a chain of matches."""
-    left = _extend(a[: p[0]][::-1], b[: q[0]][::-1])
+def _common(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int, int]], int]:
+    """Ends in both of common subsequences from their starts, each with its longest one's words, at equal words; and the
+    words of the longest one of all. Bits of ``row`` that are 0 are the steps of a row of the usual table."""
+    masks: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        masks[w] = masks.get(w, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row, ends = every, [(0, 0, 0)]
+    for j, w in enumerate(b.tolist(), 1):
+        mask = masks.get(w, 0)
+        if mask:
+            u = row & mask
+            row = ((row + u) | (row - u)) & every
+            while mask:
+                i = (mask & -mask).bit_length()
+                mask &= mask - 1
+                ends.append((i, j, i - (row & ((1 << i) - 1)).bit_count()))
+    return ends, len(a) - row.bit_count()
+
+
+def _best_ends(a: np.ndarray, b: np.ndarray, inner: tuple[int, int, int, int, int], least_words: int, similarity: float) -> tuple[int, int, int, int, int] | None:
+    """The longest passage around an aligned middle (its extents and equal words) that is long and similar enough."""
+    s, e, t, u, matched = inner
+    left = np.array(_common(a[max(0, s - MARGIN) : s][::-1], b[max(0, t - MARGIN) : t][::-1])[0])
+    right = np.array(_common(a[e : e + MARGIN], b[u : u + MARGIN])[0])
+    n = e - s + left[:, :1] + right[:, 0]
+    m = u - t + left[:, 1:2] + right[:, 1]
+    equal = matched + left[:, 2:] + right[:, 2]
+    good = (np.minimum(n, m) >= least_words) & (equal >= similarity * np.maximum(n, m))
+    if not good.any():
+        return None
+    x, y = divmod(int(np.where(good, np.minimum(n, m), -1).argmax()), len(right))
+    return s - int(left[x, 0]), e + int(right[y, 0]), t - int(left[x, 1]), u + int(right[y, 1]), int(equal[x, y])
+
+
+def passage(a: np.ndarray, b: np.ndarray, p: list[int], q: list[int], k: int, least_words: int, similarity: float) -> tuple[int, int, int, int, int] | None:
+    """Extent in both and equal words of the passage along a chain, None if it is not long or similar enough."""
+
+    def enough(s: int, e: int, t: int, u: int, matched: int) -> bool:
+        return min(e - s, u - t) >= least_words and matched >= similarity * max(e - s, u - t)
+
+    found = align(a, b, p, q, k)
+    if enough(*found):
+        return found
+    return _best_ends(a, b, align(a, b, p, q, k, ends=False), least_words, similarity)
+
+
+def align(a: np.ndarray, b: np.ndarray, p: list[int], q: list[int], k: int, ends: bool = True) -> tuple[int, int, int, int, int]:
+    """Extent in both word sequences and equal words of the alignment along a chain of matches; without ``ends``, of its
+    middle: what lies before the first match and after the last run of equal words is left out."""
+    left = _extend(a[: p[0]][::-1], b[: q[0]][::-1]) if ends else (0, 0, 0)
     i, j, matched = p[0], q[0], left[2]
     for x, y in zip(p, q):
         if x < i or y < j:  # inside the run so far
             continue
-        if x > i or y > j:  # a gap: aligned from its start, and from its end as far as words are equal
-            u, v, found = _extend(a[i:x], b[j:y])
-            matched += found + _run_length(a[i + u : x][::-1], b[j + v : y][::-1])
+        if x > i or y > j:  # a gap
+            matched += int(_common(a[i:x], b[j:y])[1])
             i, j = x, y
         n = _run_length(a[i:], b[j:])
         i, j, matched = i + n, j + n, matched + n
-    right = _extend(a[i:], b[j:])
+    right = _extend(a[i:], b[j:]) if ends else (0, 0, 0)
     return p[0] - left[0], i + right[0], q[0] - left[1], j + right[1], matched + right[2]
 
 
@@ -215,14 +381,29 @@ def _fetch_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return keep(texts.join(asked, F.col("doc_id") == F.col("doc")).select("doc", "text", "spans").mapInArrow(run, "doc bigint, s int, e int, words binary"), "span-words")
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, k: int = 5, window: int = 12) -> DataFrame:
+def first_holders(held: DataFrame, label: str, shared_only: bool) -> DataFrame:
+    """Rows (hash, doc, pos) with the first document and position, (first, q), of their hash; ``shared_only``: if a later
+    document has it."""
+    firsts = held.groupBy("hash").agg(F.min(F.struct("doc", "pos")).alias("f"), *([F.max("doc").alias("last")] if shared_only else []))
+    firsts = firsts.where("f.doc < last") if shared_only else firsts
+    shared = keep(firsts.select("hash", F.col("f.doc").alias("first"), F.col("f.pos").alias("q")), label)
+    return held.join(shared, "hash")
+
+
+def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, k: int = 4) -> DataFrame:
     """doc_id, start, end, source_id, source_start, source_end, matched: passages, in words, that an earlier document has."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    stored = keep(seeds(docs, k, window), "seeds")
-    firsts = stored.groupBy("hash").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last")).where("f.doc < last")
-    shared = keep(firsts.select("hash", F.col("f.doc").alias("first"), F.col("f.pos").alias("q")), "shared-seeds")
-    matches = stored.join(shared, "hash").where("doc <> first").select("doc", "first", F.col("pos").alias("p"), "q")
-    linked = keep(chains(matches, k).select("*", F.greatest(F.lit(0), F.col("p")[0] - MARGIN).alias("ps"), (F.element_at("p", -1) + k + MARGIN).alias("pe"), F.greatest(F.lit(0), F.col("q")[0] - MARGIN).alias("qs"), (F.element_at("q", -1) + k + MARGIN).alias("qe")), "chains")
+    # the seeds that a passage has at least, halved for a chain that is cut at a long gap
+    edits = (1 - similarity) * least_words
+    least = max(1, math.ceil(round(least_words - edits - (k - 1) * (edits + 1), 6) / 2))
+    matches = first_holders(keep(seeds(docs, k), "seeds"), "shared-seeds", False).select("doc", "first", F.col("pos").alias("p"), "q")
+    once = keep(chains(matches, k, least, least_words, similarity, True), "first-chains")
+    pairs = once.where("keys IS NOT NULL").select("doc", F.explode(F.arrays_zip("keys", "p")).alias("x")).select(F.col("x.keys").alias("hash"), "doc", F.col("x.p").alias("pos"))
+    apart = F.element_at(F.array(*map(F.lit, APART)), (F.col("hash").bitwiseAND(3) + 1).cast("int"))
+    paired = first_holders(pairs, "shared-pairs", True).where("doc <> first").select("doc", "first", F.explode(F.array(F.lit(0), apart)).alias("step"), "pos", "q")
+    paired = paired.select("doc", "first", (F.col("pos") + F.col("step")).alias("p"), (F.col("q") + F.col("step")).alias("q")).distinct()
+    linked = once.where("keys IS NULL").unionByName(chains(paired, k, 2, least_words, similarity, False)).drop("keys")
+    linked = keep(linked.select("*", F.greatest(F.lit(0), F.col("p")[0] - MARGIN).alias("ps"), (F.element_at("p", -1) + k + MARGIN).alias("pe"), F.greatest(F.lit(0), F.col("q")[0] - MARGIN).alias("qs"), (F.element_at("q", -1) + k + MARGIN).alias("qe")), "chains")
     both = linked.select(F.col("doc"), F.col("ps").alias("s"), F.col("pe").alias("e")).unionByName(linked.select(F.col("first").alias("doc"), F.col("qs").alias("s"), F.col("qe").alias("e")))
     words = _fetch_spans(docs, both.distinct())
     a = words.select(F.col("doc").alias("a_doc"), F.col("s").alias("a_s"), F.col("e").alias("a_e"), F.col("words").alias("a"))
@@ -235,8 +416,9 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float
             out = []
             for r in batch.to_pylist():
                 x, y = np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32)
-                s, e, t, u, matched = align(x, y, [v - r["ps"] for v in r["p"]], [v - r["qs"] for v in r["q"]], k)
-                if min(e - s, u - t) >= least_words and matched >= similarity * max(e - s, u - t):
+                found = passage(x, y, [v - r["ps"] for v in r["p"]], [v - r["qs"] for v in r["q"]], k, least_words, similarity)
+                if found:
+                    s, e, t, u, matched = found
                     out.append((r["doc"], s + r["ps"], e + r["ps"], r["first"], t + r["qs"], u + r["qs"], matched))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             if out:

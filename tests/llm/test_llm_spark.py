@@ -225,6 +225,15 @@ def test_passages(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_whose_parts_come_first_elsewhere(spark):
+    r = random.Random(21)
+    parts = [[f"m{r.randrange(10**9)}" for _ in range(45)] for _ in range(4)]
+    docs = [words(r, 60) + part + words(r, 60) for part in parts]
+    docs += [words(r, 40 + k) + sum(parts, []) + words(r, 50) for k in range(2)]
+    found = [p for p in passages.repeated_passages(documents(spark, map(" ".join, docs))).collect() if p.doc_id == 5]
+    assert [(p.start, p.end, p.source_id, p.source_start, p.source_end, p.matched) for p in found] == [(41, 221, 4, 40, 220, 180)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
