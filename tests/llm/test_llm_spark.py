@@ -234,6 +234,23 @@ def test_passages_whose_parts_come_first_elsewhere(spark):
     assert [(p.start, p.end, p.source_id, p.source_start, p.source_end, p.matched) for p in found] == [(41, 221, 4, 40, 220, 180)]
 
 
+def test_passages_at_the_least_similarity(spark):
+    r = random.Random(22)
+    docs, want = [], set()
+    for k in range(60):
+        n = r.choice((50, 55, 80))
+        one = [f"m{r.randrange(10**9)}" for _ in range(n)]
+        two = list(one)
+        # the first words are equal and so are the last, so that the passage has all n words
+        edits = range(4, n - 1, 5) if k % 2 else r.sample(range(1, n - 1), n // 5)
+        for i in edits:
+            two[i] = f"e{r.randrange(10**9)}"
+        want.add(2 * k + 1)
+        docs += [words(r, 60) + w + words(r, 60) for w in (one, two)]
+    rows = passages.repeated_passages(documents(spark, map(" ".join, docs))).collect()
+    assert {p.doc_id for p in rows} == want and all(p.source_id == p.doc_id - 1 and p.matched >= 40 for p in rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
