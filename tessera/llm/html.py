@@ -5,7 +5,8 @@ the costs of calling it content or boilerplate; these are the capacities to the
 and consecutive blocks under one parent element, are joined by smoothness edges. A maximum flow separates the two sides;
 what stays connected to the source is content. One narrow pass; a page's graph has some edges per block.
 
-Defined results: null and blank pages give an empty text; markup that is never closed ends with the page; repeated rows
+Defined results: null and blank pages give an empty text; a script, style, title or textarea that is never closed ends
+with the page, of other elements without an end only the tag is dropped, and a head ends where its content does; repeated rows
 are kept; other columns are ignored; an empty table gives none.
 """
 
@@ -24,6 +25,12 @@ from pyspark.sql import functions as F
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 #: Elements whose content is no text of the page.
 RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "head", "select", "button")
+#: Those whose content is plain characters: without an end tag they end with the page.
+CHARACTERS = ("script", "style", "title", "textarea")
+#: What can stand in a head.
+IN_HEAD = {"html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "script", "style", "noscript", "noframes", "template"}
+#: An attribute's value without quotes takes the slash before the end of a tag.
+VALUE_SLASH = re.compile(r"=\s*[^\s\"'=]+/\Z")
 #: Elements that leave the text around them in one block; all others end a block.
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
@@ -98,9 +105,31 @@ class _Builder:
                 return
 
 
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
+
+
+def _head_end(page: str, at: int) -> int:
+    """Where the content of a head ends: after its end tag, or before the text or element that cannot stand in it."""
+    while m := TAG.search(page, at):
+        tag = (m[2] or "").lower()
+        if page[at : m.start()].strip():
+            return at
+        if tag == "head" and m[1]:
+            return m.end()
+        if tag and (tag in ("body", "html") if m[1] else tag not in IN_HEAD):
+            return m.start()
+        at = m.end()
+        if not m[1] and tag in ("title", "script", "style", "noscript", "noframes", "template"):
+            end = _end_tag(tag).search(page, at)
+            at = end.end() if end else len(page) if tag in CHARACTERS else at
+    return at
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order."""
     out, at, in_link = _Builder(), 0, False
+    endless: set[str] = set()
 
     def text(piece: str) -> None:
         out.parts.append(piece)
@@ -114,10 +143,19 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if tag in RAW and not m[1]:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if tag not in ("textarea", "select", "button"):
                 out.flush()
-            at = end.end() if end else len(page)
+            if tag == "head":
+                at = _head_end(page, at)
+                continue
+            if tag in ("svg", "math") and m[3].endswith("/") and not VALUE_SLASH.search(m[3]):
+                continue
+            end = None if tag in endless else _end_tag(tag).search(page, at)
+            if end is None:
+                endless.add(tag)
+            elif tag in ("select", "button") and re.compile(rf"<{tag}[\s/>]", re.I).search(page, at, end.start()):
+                continue  # the next one ends it
+            at = end.end() if end else len(page) if tag in CHARACTERS else at
         elif tag == "a":
             in_link = not m[1]
         elif tag == "br":

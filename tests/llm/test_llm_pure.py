@@ -105,6 +105,17 @@ def _member(k, size):
     return coder.compress(record) + coder.flush(), body
 
 
+def test_main_text_of_unclosed_elements():
+    body = "<p>" + "An article's long sentence, which is kept. " * 5 + "</p>"
+    kept = html.main_text(f"<body>{body}</body>")
+    assert kept.startswith("An article")
+    for page in (
+        f"<html><head><title>x</title><body>{body}", f"<head><meta a=b><script>var x = '<p>';</script>{body}", f"<svg/>{body}", f'<math a="b"/>{body}',
+        f"<noscript>{body}", f"<select>{body}", f"<button>{body}<button>b</button>", f"<object>{body}", f"<head><title>x</title></head>{body}",
+    ):
+        assert html.main_text(page) == kept, page
+
+
 def test_ranges_own_each_record_once():
     members = [_member(k, 40 + 700 * (k % 4)) for k in range(40)]
     # raw gzip magic inside stored data must not be taken for a record
