@@ -4,8 +4,8 @@ Writing: one gzip member per record, one file per task, under a name that no oth
 by Spark's own committer, names the files that count, so that lost or repeated attempts leave no trace in results.
 
 Reading: an archive is cut into byte ranges. A task scans its range for the gzip magic, takes a candidate for a member
-only if it decodes to a WARC header with its mandatory fields, and owns the records that start inside its range, the
-last of which it reads beyond the range's end.
+only if it decodes to a WARC header, however long, with its mandatory fields, and owns the records that start inside its range, the
+last of which it reads beyond the range's end. What was read is stored, and its count must be the manifest's.
 
 Defined results: null html is an empty payload, null or unprintable URLs are percent-encoded or left out; rows that
 repeat an id and its payload are written each on its own; rows without an id are responses; an empty table gives none.
@@ -98,13 +98,6 @@ def _headers(text: bytes) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if {"warc-type", "warc-record-id", "content-length"} <= fields.keys() else None
 
 
-def _is_member(data: bytes) -> bool:
-    try:
-        return _headers(zlib.decompressobj(31).decompress(data, 16_384)) is not None
-    except zlib.error:
-        return False
-
-
 def scan_range(stream, size: int, start: int, end: int, chunk: int = 1 << 20, probe: int = 8192) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Offset, header fields and block of each record that starts in bytes [start, end) of an archive."""
     at, data = start, b""
@@ -115,6 +108,20 @@ def scan_range(stream, size: int, start: int, end: int, chunk: int = 1 << 20, pr
             stream.seek(at + len(data))
             data += stream.read(max(chunk, least - len(data)))
 
+    def is_member() -> bool:
+        """Whether a WARC header starts the data: as much is decoded as it is long."""
+        engine, text, used = zlib.decompressobj(31), b"", 0
+        try:
+            while b"\r\n\r\n" not in text:
+                fill(used + probe)
+                if engine.eof or used >= len(data) or not text.startswith(b"WARC/1."[: len(text)]):
+                    return False
+                text += engine.decompress(data[used : used + probe])
+                used += probe
+        except zlib.error:
+            return False
+        return _headers(text) is not None
+
     # the first member: any later one starts where its predecessor ends
     while at < end:
         fill(chunk)
@@ -126,8 +133,7 @@ def scan_range(stream, size: int, start: int, end: int, chunk: int = 1 << 20, pr
             at, data = at + k, data[k:]
             continue
         at, data = at + k, data[k:]
-        fill(probe)
-        if at < end and _is_member(data[:probe]):
+        if at < end and is_member():
             break
         at, data = at + 1, data[1:]
     while at < end and at < size:
@@ -186,7 +192,11 @@ def read_archives(manifest: DataFrame, folder: str, split_bytes: int = 16 << 20,
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return ranges.repartition(max(1, int(total))).mapInArrow(run, RECORDS)
+    records = keep(ranges.repartition(max(1, int(total))).mapInArrow(run, RECORDS), "records")
+    counts = records.groupBy("file").agg(F.count(F.lit(1)).alias("found"))
+    if wrong := manifest.join(counts, "file", "left").where(F.coalesce("found", F.lit(0)) != F.col("records")).first():
+        raise ValueError(f"{wrong.file}: {wrong.found or 0} records of {wrong.records}")
+    return records
 
 
 def archive_pages(pages: DataFrame, least: int = 1000, split_bytes: int = 16 << 20, payloads: bool = True) -> DataFrame:

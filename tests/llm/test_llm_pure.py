@@ -116,6 +116,14 @@ def test_main_text_of_unclosed_elements():
         assert html.main_text(page) == kept, page
 
 
+def test_long_headers_are_found():
+    r = random.Random(5)
+    urls = ["http://a/" + "".join(map(chr, (r.randrange(0x4E00, 0x9FA5) for _ in range(n)))) for n in (10, 3000, 60_000)]
+    for url in urls:
+        data = b"".join(warc._record(k, url, b"<p>x", "d", None, 4) for k in range(3))
+        assert [f["warc-record-id"] for _, f, _ in warc.scan_range(io.BytesIO(data), len(data), 0, len(data))] == [f"<urn:x-page:{k}>" for k in range(3)]
+
+
 def test_ranges_own_each_record_once():
     members = [_member(k, 40 + 700 * (k % 4)) for k in range(40)]
     # raw gzip magic inside stored data must not be taken for a record

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import contain, html, lm, packing, passages, quality, simhash, topk, toxicity, warc
 from tessera.llm.catalogue import tokenizer_path
+from tessera.llm.common import shared_folder
 from tessera.llm.components import _round, components
 from tessera.llm.simhash import fingerprint, plain_words
 
@@ -132,6 +133,15 @@ def test_warc(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_counts_records(spark):
+    folder = shared_folder(spark, "warc-test")
+    pages = spark.createDataFrame([(k, "u", f"page {k}") for k in range(5)], "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.plan_records(pages), folder)
+    assert warc.read_archives(manifest, folder).count() == 5
+    with pytest.raises(ValueError, match="records of"):
+        warc.read_archives(manifest.withColumn("records", F.col("records") + 1), folder)
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>Hello there, world.</article>"), (2, None, None), (2, None, "")], "page_id long, url string, html string")
     assert sorted(tuple(r) for r in html.extract(pages).select("page_id", "text", "n_chars").collect()) == [(1, "Hello there, world.", 19), (2, "", 0), (2, "", 0)]
