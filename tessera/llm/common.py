@@ -17,8 +17,13 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """URI of a new folder that the driver and all executors see: under spark.checkpoint.dir, or, where that is not set
-    (one machine, as in tests), under the local temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-shared"
+    and the master is this machine alone, as in tests, under the local temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tessera-shared"
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{os.path.abspath(base)}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -36,13 +41,22 @@ def table(spark: SparkSession, directory: str, name: str, *columns: str) -> Data
     return df.select(*columns) if columns else df
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """A column name that none of the taken ones equals, in any case."""
+    lower = {t.lower() for t in taken}
+    while wanted.lower() in lower:
+        wanted += "_"
+    return wanted
+
+
 def lowered(text: Column) -> Column:
     """A-Z to lower case, other letters as they are; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def words(text: Column) -> Column:
+def words(text: Column | str) -> Column:
     """Array of the words of a text, lower-cased; empty for null, empty and blank texts."""
+    text = F.col(text) if isinstance(text, str) else text
     return F.filter(F.split(lowered(text), SPACES), lambda w: w != "")
 
 
