@@ -17,7 +17,7 @@ hash of a few neighbours, and both lie in runs. A passage that thousands of docu
 set of matches, and no group is expanded into pairs.
 
 Chaining: the matches of a document with one earlier document are chained in order, with gap costs, by a Fenwick tree
-over prefix maxima. A chain whose seeds alone are long and similar enough is a passage, and chains inside it are dropped.
+over prefix maxima; one has the words of two seeds apart at least. A chain whose seeds alone are long and similar enough is a passage, and chains inside it are dropped.
 Alignment: chains are cut at long gaps and aligned on word hashes, exactly along diagonals, with small edits at the ends
 and a longest common subsequence in between; where that is too short or too little alike, the ends are those common
 subsequences that make the longest passage. Passages that are long and similar enough are returned, but for those inside
@@ -247,7 +247,7 @@ def pair_keys(first: np.ndarray, p: np.ndarray, q: np.ndarray, covered: list[tup
 
 def chains(matches: DataFrame, k: int, least: int, least_words: int, similarity: float, pairs: bool, longest_gap: int = 40) -> DataFrame:
     """doc, first (the earlier document) and the chained positions p and q in both, cut at gaps over ``longest_gap`` words,
-    of chains of at least ``least`` matches that do not lie inside a chain that is a passage by its seeds alone; ``lead``:
+    of chains of at least ``least`` matches and the words of two seeds apart that do not lie inside a chain that is a passage by its seeds alone; ``lead``:
     those that are not wholly among the words of better ones.
     ``pairs``: and rows with keys, at positions p and of lengths q, for the second round.
     A document's matches are as many as its shared seeds, and all meet in one task."""
@@ -298,7 +298,7 @@ def chains(matches: DataFrame, k: int, least: int, least_words: int, similarity:
             for j in range(1, len(path) + 1):
                 if j == len(path) or max(p[path[j]] - p[path[j - 1]], q[path[j]] - q[path[j - 1]]) > longest_gap:
                     part = path[cut:j]
-                    if sum(sizes[i] for i in part) >= least:
+                    if sum(sizes[i] for i in part) >= least and sum(words[i] for i in part) >= 2 * k:
                         x, y = [p[i] for i in part], [q[i] for i in part]
                         n, m = x[-1] + k - x[0], y[-1] + k - y[0]
                         equal = sum(words[i] for i in part)
