@@ -39,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,16 +95,27 @@ def _hashed(batches: Iterator[pa.RecordBatch], k: int, most: int) -> Iterator[tu
         yield np.array(ids, np.int64), found
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Increasing numbers as the compressed bytes of their steps, all lowest bytes first."""
+    steps = np.diff(values, prepend=np.uint32(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1), dtype=np.uint32)
+
+
 def store_shared(docs: DataFrame, k: int, folder: str) -> None:
     """Store, by shard, 32 further bits of the seed hashes that two texts hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _hashed(batches, k, 4_000_000):
+        for _, found in _hashed(batches, k, 2_500_000):
             keys, n = np.unique(np.concatenate([np.unique(h) for h in found]) >> np.uint64(24), return_counts=True)
             cuts = np.searchsorted(keys, np.arange(SHARDS + 1, dtype=np.uint64) << np.uint64(32))
             low = keys.astype(np.uint32)
             parts = [(low[i:j], n[i:j] > 1) for i, j in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_pydict({"shard": list(range(SHARDS)), "once": [x[~m].tobytes() for x, m in parts], "more": [x[m].tobytes() for x, m in parts]})
+            yield pa.RecordBatch.from_pydict({"shard": list(range(SHARDS)), "once": [_packed(x[~m]) for x, m in parts], "more": [_packed(x[m]) for x, m in parts]})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, once, more = None, [], []
@@ -119,8 +131,8 @@ def store_shared(docs: DataFrame, k: int, folder: str) -> None:
                     yield done()
                     once, more = [], []
                 now = s
-                once.append(np.frombuffer(a, np.uint32))
-                more.append(np.frombuffer(b, np.uint32))
+                once.append(_unpacked(a))
+                more.append(_unpacked(b))
         if now is not None:
             yield done()
 
