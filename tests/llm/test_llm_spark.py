@@ -286,3 +286,30 @@ def test_pipeline(spark, tmp_path):
         docs = corpus_pipeline.keep(after, name)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {x.doc_id for x in packed.collect()} == {x.doc_id for x in docs.collect()}
+
+
+def test_top_k_of_large_components_and_other_columns(spark):
+    r = random.Random(23)
+    rows = [(i, [r.uniform(-1e6, 1e6) * 10 ** r.randrange(8) for _ in range(4)], 0, 0) for i in range(120)]
+    rows += [(i, [3.0, 4.0, 5.0, 6.0], 0, 0) for i in range(120, 300)] + [(400, [], 0, 0), (450, [], 0, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf int, shard int")
+    good = {i: [math.floor(256 * x) for x in e] for i, e, _, _ in rows}
+    for shard in (40, 10_000):
+        found = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(df, shard_rows=shard, leaf=8).collect())
+        expected = []
+        for q in sorted(i for i in good if i % 50 == 0):
+            best = sorted((-max(topk.LOW, min(topk.HIGH, sum(a * b for a, b in zip(good[q], v)))), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
+            expected += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+        assert found == expected
+
+
+def test_top_k_skips_leaves_of_clustered_vectors():
+    r = np.random.default_rng(24)
+    x = np.round(np.concatenate([r.normal(c, 2, (256, 16)) for c in r.normal(0, 200, (16, 16))]))
+    tree = topk.KDTree(x, np.arange(len(x)), leaf=64)
+    found = {}
+    for q, i, s in tree.search_all(x[::50], np.arange(len(x))[::50], 5, np.full(len(x[::50]), topk.LOW)):
+        found.setdefault(q, []).append((-s, i))
+    for n, q in enumerate(range(0, len(x), 50)):
+        assert sorted(found[n]) == sorted((-int(x[q] @ x[i]), i) for i in range(len(x)) if i != q)[:5]
+    assert tree.visited < 0.2 * len(x[::50]) * len(tree.leaves)
