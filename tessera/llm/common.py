@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +79,19 @@ _CACHE: list = [None, {}]
 
 def worker_cache(key, most: int) -> dict:
     """What a Python worker remembers from task to task for one purpose, such as results by word; another purpose, or
-    growth beyond ``most`` entries, empties it, so that a worker holds one bounded cache at a time."""
+    growth beyond ``most`` entries, empties it, so that a worker holds one bounded cache at a time. What a former purpose
+    has left goes back to the system."""
     if _CACHE[0] != key or len(_CACHE[1]) > most:
+        used = bool(_CACHE[1]) or _CACHE[0] != key
         _CACHE[:] = [key, {}]
+        if used:
+            give_back()
     return _CACHE[1]
+
+
+def give_back() -> None:
+    """Return memory that Python, Arrow and the C library have freed, but keep, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has this call
+        ctypes.CDLL(None).malloc_trim(0)
