@@ -110,7 +110,7 @@ def store_shared(docs: DataFrame, k: int, folder: str) -> None:
     """Store, by shard, 32 further bits of the seed hashes that two texts hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _hashed(batches, k, 2_500_000):
+        for _, found in _hashed(batches, k, 1_000_000):
             keys, n = np.unique(np.concatenate([np.unique(h) for h in found]) >> np.uint64(24), return_counts=True)
             cuts = np.searchsorted(keys, np.arange(SHARDS + 1, dtype=np.uint64) << np.uint64(32))
             low = keys.astype(np.uint32)
@@ -173,7 +173,7 @@ def seeds(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = None
-        for ids, found in _hashed(batches, k, 1_000_000):
+        for ids, found in _hashed(batches, k, 500_000):
             files = files or [map_arrays(f"{folder}/seeds-{s}")["low"] for s in range(SHARDS)]
             hashes, sizes = np.concatenate(found), np.array([len(h) for h in found])
             places = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)

@@ -34,7 +34,7 @@ from tessera.llm.common import crc_remainder, plain_words, worker_cache
 LEVEL = 19
 GRAM = 6
 CARRIER = 20
-CACHED_WORDS = 250_000
+CACHED_WORDS = 120_000
 WORDS, PIECES, SAMPLES = 4096, 128, 60_000
 
 
