@@ -17,6 +17,7 @@ from tessera.functions import format_value, register_functions
 from tessera.operators import dictionary_encode, sorted_edges
 from tessera.session import apply_semantics
 from tessera.sources import copy_table, load_csv
+from tessera.sources.files import stored
 
 #: Column types as they are spelt in CREATE TABLE; declared lengths are ignored.
 DDL_TYPES = {
@@ -49,7 +50,7 @@ class Engine:
         statement = translate(text)
         df = unique_names(self.spark.sql(resolve_division(self.spark, statement.sql)))
         if statement.into:
-            self._register(statement.into, df)
+            self._register(statement.into, stored(df))
             return None
         return df
 
@@ -102,8 +103,8 @@ class Engine:
         self.spark.catalog.dropTempView(name.lower())
 
     def load(self, name: str, path: str, separator: str = ",", null_token: str = "NULL") -> DataFrame:
-        """Replace a table's rows by those of a delimited file."""
-        df = load_csv(self.spark, path, self.table(name).schema, separator, null_token)
+        """Replace a table's rows by those of a delimited file; a malformed field raises, and the table stays as it was."""
+        df = stored(load_csv(self.spark, path, self.table(name).schema, separator, null_token))
         self._register(name, df)
         return df
 

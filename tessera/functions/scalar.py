@@ -34,12 +34,20 @@ def nulls_ordered(column: Column, ascending: bool = True) -> Column:
 
 
 def format_value(column: Column, kind: T.DataType) -> Column:
-    """Printed form of a value: ``[null]`` for null, ``N years M months`` for year-month intervals."""
+    """Printed form of a value: ``[null]`` for null, ``N years M months`` for year-month intervals, ISO 8601 with hours,
+    minutes and seconds for day-time intervals."""
     if isinstance(kind, T.YearMonthIntervalType):
-        months = F.extract(F.lit("MONTH"), column)
-        years = F.extract(F.lit("YEAR"), column)
-        text = F.concat_ws(" ", years.cast("string"), F.lit("years"), months.cast("string"), F.lit("months"))
+        months = column.cast("interval month").cast("int")
+        years = (months - months % 12) / 12
+        text = F.concat_ws(" ", years.cast("int").cast("string"), F.lit("years"), (months % 12).cast("string"), F.lit("months"))
         text = F.when(column.isNotNull(), text)
+    elif isinstance(kind, T.DayTimeIntervalType):
+        total = column.cast("interval second").cast("decimal(18,6)")
+        whole = (total - total % 60).cast("bigint")
+        hours, minutes = (whole - whole % 3600) / 3600, (whole % 3600) / 60
+        seconds = F.regexp_replace((total % 60).cast("decimal(18,6)").cast("string"), r"\.?0+$", "")
+        parts = [F.when(x != 0, F.concat(n, F.lit(unit))).otherwise("") for x, n, unit in ((hours, hours.cast("bigint").cast("string"), "H"), (minutes, minutes.cast("bigint").cast("string"), "M"), (total % 60, seconds, "S"))]
+        text = F.when(column.isNotNull(), F.when(total == 0, F.lit("PT0S")).otherwise(F.concat(F.lit("PT"), *parts)))
     else:
         text = column.cast("string")
     return F.coalesce(text, F.lit("[null]"))

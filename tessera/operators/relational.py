@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.files import stored
+
 
 def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:
     """Distinct values of the columns; compared exactly."""
@@ -21,10 +23,11 @@ def dictionary_encode(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFram
     """Replace string columns by order-preserving codes; returns the coded rows and the dictionary (value, code).
 
     Codes are global ranks. They come from a range partitioning by value: the rank within a partition plus the number
-    of values in the partitions before it, so no task sees the whole dictionary.
+    of values in the partitions before it, so no task sees the whole dictionary. The partitioned values are stored first:
+    ranks and counts then see the same partitions, whatever the plan reuses.
     """
     values = reduce(DataFrame.unionByName, [df.select(F.col(c).alias("value")) for c in columns]).where("value IS NOT NULL").distinct()
-    ranged = values.repartitionByRange("value").sortWithinPartitions("value").select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    ranged = stored(values.repartitionByRange("value").sortWithinPartitions("value").select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
     firsts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = firsts.alias("a").join(firsts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"), F.first("a.first").alias("first"))
     dictionary = ranged.join(before, "part").select("value", (F.col("at") - F.col("first") + F.col("before")).cast("int").alias("code"))

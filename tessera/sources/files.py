@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +20,19 @@ def open_tables(spark: SparkSession, directory: str, names: tuple[str, ...] = TA
         read_native(spark, f"{directory}/{name}.parquet").createOrReplaceTempView(name)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as they are now, every column evaluated, in the checkpoint folder; one of its own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
 def load_csv(spark: SparkSession, path: str, schema: T.StructType, separator: str = ",", null_token: str = "NULL") -> DataFrame:
-    """Positional columns without a header; empty fields and the null token are null; a malformed field fails the load.
+    """Positional columns without a header; empty fields and the null token are null; a malformed field fails the read of
+    its column (``Engine.load`` reads all).
 
     Quoted empty strings count as null too, which Spark's reader alone would keep as ''.
     """
