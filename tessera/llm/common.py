@@ -8,6 +8,7 @@ import gc
 import os
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 #: For bytes.translate: A-Z to lower case, everything else as it is.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Where the tables of keep() lie.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -37,7 +40,19 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it again: later steps start from its files, whatever executors are lost."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[kept] = path
+    return kept
+
+
+def discard(spark: SparkSession, *stored: DataFrame | str) -> None:
+    """Delete tables of keep(), or folders, that no later step reads, not even to repeat lost work: what came of them is
+    stored itself. Shuffle files that nothing refers to any more go as well, once the driver's collector finds them."""
+    for x in stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else _FOLDERS.pop(x))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, directory: str, name: str, *columns: str) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, keep, plain_words, shared_folder, worker_cache
+from tessera.llm.common import discard, free_name, keep, plain_words, shared_folder, worker_cache
 from tessera.llm.common import words as split_words
 from tessera.llm.contain import bounded
 from tessera.llm.eliasfano import map_arrays, write_arrays
@@ -166,9 +166,8 @@ def thinned(hashes: np.ndarray, places: np.ndarray, rows: np.ndarray, k: int) ->
     return kept, in_run
 
 
-def seeds(docs: DataFrame, k: int) -> DataFrame:
-    """The seeds of texts that another text has, too (or, rarely, a hash with the same 40 bits)."""
-    folder = shared_folder(docs.sparkSession, "seed-hashes")
+def seeds(docs: DataFrame, k: int, folder: str) -> DataFrame:
+    """The seeds of texts that another text has, too (or, rarely, a hash with the same 40 bits); ``folder`` holds those bits."""
     store_shared(docs, k, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +468,9 @@ def _fetch_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     asked = keep(spans.distinct().groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
     ids = bounded(asked.select(F.col("doc").alias("doc_id")))
     texts = docs.join(ids, "doc_id", "left_semi")
-    return keep(texts.join(asked, F.col("doc_id") == F.col("doc")).select("doc", "text", "spans").mapInArrow(run, "doc bigint, s int, e int, words binary"), "span-words")
+    words = keep(texts.join(asked, F.col("doc_id") == F.col("doc")).select("doc", "text", "spans").mapInArrow(run, "doc bigint, s int, e int, words binary"), "span-words")
+    discard(docs.sparkSession, asked)
+    return words
 
 
 def copies(docs: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
@@ -483,23 +484,29 @@ def copies(docs: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
     return rest, members.join(sizes, "source_id").where(F.col("end") >= least_words).select("doc_id", zero.alias("start"), "end", "source_id", zero.alias("source_start"), F.col("end").alias("source_end"), F.col("end").alias("matched"))
 
 
-def first_holders(held: DataFrame, label: str, shared_only: bool) -> DataFrame:
-    """Rows (hash, doc, pos) with the first document and position, (first, q), of their hash; ``shared_only``: if a later
-    document has it."""
+def first_holders(held: DataFrame, label: str, shared_only: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (hash, doc, pos) with the first document and position, (first, q), of their hash, and the stored table of these
+    firsts; ``shared_only``: if a later document has it."""
     firsts = held.groupBy("hash").agg(F.min(F.struct("doc", "pos")).alias("f"), *([F.max("doc").alias("last")] if shared_only else []))
     firsts = firsts.where("f.doc < last") if shared_only else firsts
     shared = keep(firsts.select("hash", F.col("f.doc").alias("first"), F.col("f.pos").alias("q")), label)
-    return held.join(shared, "hash")
+    return held.join(shared, "hash"), shared
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float = 0.8, k: int = 4, least: int = 2) -> DataFrame:
     """doc_id, start, end, source_id, source_start, source_end, matched: passages, in words, that an earlier document has."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     docs, whole = copies(docs, least_words)
-    matches = first_holders(keep(seeds(docs, k), "seeds"), "shared-seeds", False).select("doc", "first", F.col("pos").alias("p"), "q", "run")
-    once = keep(chains(matches, k, least, least_words, similarity, True), "first-chains")
+    folder = shared_folder(spark, "seed-hashes")
+    held = keep(seeds(docs, k, folder), "seeds")
+    discard(spark, folder)
+    matches, firsts = first_holders(held, "shared-seeds", False)
+    once = keep(chains(matches.select("doc", "first", F.col("pos").alias("p"), "q", "run"), k, least, least_words, similarity, True), "first-chains")
+    discard(spark, held, firsts)
     pairs = once.where("keys IS NOT NULL").select("doc", F.explode(F.arrays_zip("keys", "p", "q")).alias("x")).select(F.col("x.keys").alias("hash"), "doc", F.col("x.p").alias("pos"), F.col("x.q").alias("length"))
-    paired = first_holders(pairs, "shared-pairs", True).where("doc <> first").select("doc", "first", F.explode(F.array(F.lit(0), F.col("length"))).alias("step"), "pos", "q")
+    paired, firsts = first_holders(pairs, "shared-pairs", True)
+    paired = paired.where("doc <> first").select("doc", "first", F.explode(F.array(F.lit(0), F.col("length"))).alias("step"), "pos", "q")
     paired = paired.select("doc", "first", (F.col("pos") + F.col("step")).alias("p"), (F.col("q") + F.col("step")).alias("q"), F.lit(False).alias("run")).distinct()
     linked = once.where("keys IS NULL").unionByName(chains(paired, k, 2, least_words, similarity, False)).drop("keys")
 
@@ -509,8 +516,11 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float
         return [(F.floor(before / ROUND) * ROUND).cast("int").alias(first), (F.ceil(after / ROUND) * ROUND).cast("int").alias(last)]
 
     linked = keep(linked.select("*", *ends("p", "ps", "pe"), *ends("q", "qs", "qe")), "chains")
+    discard(spark, once, firsts)
     # chains among the words of better ones are aligned only if those words are not all in the passages of these
-    leading = keep(aligned(docs, linked.where("lead"), k, least_words, similarity), "leading-passages")
+    found, words = aligned(docs, linked.where("lead"), k, least_words, similarity)
+    leading = keep(found, "leading-passages")
+    discard(spark, words)
     order = W.partitionBy("doc_id").orderBy("start", F.desc("end"), "source_id", "source_start")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     apart = leading.select("doc_id", "start", "end", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int").alias("new"), "source_id", "source_start")
@@ -518,12 +528,13 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, similarity: float
     inside = spans.groupBy(F.col("doc_id").alias("in_doc")).agg(F.collect_list(F.struct("start", "end")).alias("inside"))
     hidden = F.exists("inside", lambda x: (x["start"] <= F.col("p")[0]) & (x["end"] >= F.element_at("p", -1) + k))
     rest = keep(linked.where("NOT lead").join(inside, F.col("doc") == F.col("in_doc"), "left").where(~F.coalesce(hidden, F.lit(False))).drop("in_doc", "inside"), "other-chains")
-    found = leading.unionByName(aligned(docs, rest, k, least_words, similarity))
+    discard(spark, linked)
+    found = leading.unionByName(aligned(docs, rest, k, least_words, similarity)[0])
     return found.withColumn("reach", F.max("end").over(before)).where("reach IS NULL OR reach < end").drop("reach").unionByName(whole)
 
 
-def aligned(docs: DataFrame, linked: DataFrame, k: int, least_words: int, similarity: float) -> DataFrame:
-    """The passages along chains."""
+def aligned(docs: DataFrame, linked: DataFrame, k: int, least_words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The passages along chains, and the stored words that they are read from."""
     both = linked.select(F.col("doc"), F.col("ps").alias("s"), F.col("pe").alias("e")).unionByName(linked.select(F.col("first").alias("doc"), F.col("qs").alias("s"), F.col("qe").alias("e")))
     words = _fetch_spans(docs, both)
     a = words.select(F.col("doc").alias("a_doc"), F.col("s").alias("a_s"), F.col("e").alias("a_e"), F.col("words").alias("a"))
@@ -544,7 +555,7 @@ def aligned(docs: DataFrame, linked: DataFrame, k: int, least_words: int, simila
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[x.split()[0] for x in PASSAGES.split(", ")])
 
-    return paired.mapInArrow(run, PASSAGES)
+    return paired.mapInArrow(run, PASSAGES), words
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
