@@ -102,14 +102,14 @@ def dealt_rows(spark, query):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize(("name", "k", "limit"), [("graph_sel_4cycle_100", 4, 40)])
+@pytest.mark.parametrize(("name", "k", "limit"), [("graph_sel_4cycle_100", 4, 40), ("graph_sel_5cycle_50", 5, 20)])
 def test_cycles_deal_out_no_whole_paths(spark, tmp_path, name, k, limit):
     expected = walks(k, co_purchases(spark, tmp_path, 40), limit)
     value, rows = dealt_rows(spark, lambda: catalogue()[name](spark, str(tmp_path)))
     assert value == expected and rows < 30_000  # 2,372,760 paths of four vertices
 
 
-@pytest.mark.parametrize("k", [4])
+@pytest.mark.parametrize("k", [4, 5])
 @pytest.mark.parametrize(("shift", "edges"), [(0, 45), (65528, 25)])
 def test_bounded_cycles(spark, k, shift, edges):
     _, _, both = graph(spark, edges=edges, seed=edges)
